@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklens.llm import common, contamination, neardup, quality, tokenfile, urlrules
+from tasklens.llm import common, contamination, neardup, packing, quality, secrets, tokenfile, toxicity, urlrules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,10 +22,25 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.read_blocks(blocks)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = toxicity.toxicity_scores(docs, model)
+    return scored.select("doc_id", common.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "windows")
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.find_secrets(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_url_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(common.documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -37,7 +52,7 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op3_token_files, op7_url_decisions, op9_quality, op10_contamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op3_token_files, op5_toxicity, op6_secrets, op7_url_decisions, op8_packing, op9_quality, op10_contamination)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex(" + _FOLD.format("coalesce(text, '')") + ", '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
