@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tasklens.llm import common, contamination, neardup, packing, quality, secrets, tokenfile, toxicity, urlrules
+from tasklens.llm import common, contamination, fingerprint, htmltext, neardup, packing, quality, secrets, tokenfile, toxicity, urlrules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,11 +17,19 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(common.documents(spark, sf_dir), percent=85)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(common.documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = tokenfile.write_blocks(common.documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
     return tokenfile.read_blocks(blocks)
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.documents(spark, sf_dir)
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -52,7 +60,7 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.leaks(common.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op3_token_files, op5_toxicity, op6_secrets, op7_url_decisions, op8_packing, op9_quality, op10_contamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_near_duplicates, op2_fingerprints, op3_token_files, op4_main_text, op5_toxicity, op6_secrets, op7_url_decisions, op8_packing, op9_quality, op10_contamination)}
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = "list_filter(string_split_regex(" + _FOLD.format("coalesce(text, '')") + ", '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"

@@ -1,11 +1,12 @@
 """Toxicity by compression distance: two zstandard dictionaries, word windows, calibrated thresholds.
 
-A window is one word of a text, A-Z and other letters lower-cased, behind a fixed carrier that both dictionaries hold,
-so that its frame is in compressed form. Its gain is the length under the ordinary dictionary less that under the
-toxic one, over the window's length. The dictionaries are trained on windows of labelled texts: the ordinary one on the
-commonest words of ordinary texts, the toxic one on the same and on the words that mark toxic texts, ranked by log odds
-and document frequency. The gain from which a window counts, and the chance of toxicity by the number of such windows,
-are calibrated on the same bounded sample. Windows repeat, so their gains are kept in a bounded cache.
+A window is one word of a text, lower-cased, behind a fixed carrier that both dictionaries hold, so that its frame is in
+compressed form. Its gain is its length in bytes under the ordinary dictionary less that under the toxic one. The
+dictionaries are trained on labelled texts: the ordinary one holds their commonest windows, the toxic one those and the
+windows that mark toxic texts, whole words first and then beginnings of words that mark the toxic texts still left,
+ranked by log odds and document frequency. The numbers and rates of windows beyond several gains become a chance by a
+logistic calibration on the same bounded sample. The dictionaries differ in the marks alone, so a window that shares no
+six bytes with them counts as without gain and isn't compressed. Windows repeat, so gains are kept in a bounded cache.
 """
 
 from __future__ import annotations
@@ -22,12 +23,20 @@ from tasklens.llm.common import labelled_sample, map_rows, table
 MOST_LABELLED = 20_000
 #: Words of the dictionaries; share of the best mark's weight that a mark must have; documents it must stand in.
 ORDINARY_WORDS, MARK_WORDS, LEAST_SHARE, LEAST_DOCS = 1500, 200, 0.2, 3
-CARRIER, CACHE, STEPS = "~ a window of the text follows here: ", 300_000, 4
+STARTS = range(5, 11)
+CARRIER, CACHE, LEVELS = "~ a window of the text follows here:", 300_000, (2, 3, 4, 5, 6, 7)
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall((text or "").lower())
+def words(text: str | None) -> set[str]:
+    """The distinct words; most tokens between white space are one already."""
+    out: set[str] = set()
+    for token in set((text or "").lower().split()):
+        if token.isalpha():
+            out.add(token)
+        else:
+            out.update(WORD.findall(token))
+    return out
 
 
 def _window(word: str) -> bytes:
@@ -37,12 +46,15 @@ def _window(word: str) -> bytes:
 class Model:
     """Plain data (bytes and numbers), so it ships with a task's closure; compressors are made where they are used."""
 
-    def __init__(self, ordinary: bytes = b"", toxic: bytes = b"", least: float = 9.0, chance: tuple[float, ...] = (0.0,) * STEPS):
-        self.ordinary, self.toxic, self.least, self.chance = ordinary, toxic, least, chance
+    def __init__(self, ordinary: bytes = b"", added: bytes = b"", base: float = 0.0):
+        self.ordinary, self.toxic = ordinary + CARRIER.encode(), ordinary + added + CARRIER.encode()
+        self.shared = b"|".join(sorted({re.escape(added[i : i + 6]) for i in range(len(added) - 5)}))
+        self.beta = np.zeros(2 * len(LEVELS) + 2)
+        self.beta[-1] = np.log((base + 1e-6) / (1 - base + 1e-6))
 
     def gains(self):
         """A function from a word to its window's gain."""
-        if not self.toxic:
+        if not self.shared:
             return lambda word: 0.0
         make = zstandard.ZstdCompressionParameters.from_level
         params = make(19, format=zstandard.FORMAT_ZSTD1_MAGICLESS, write_content_size=0, write_checksum=0, write_dict_id=0, min_match=3)
@@ -52,7 +64,7 @@ class Model:
             data.precompute_compress(compression_params=params)
             two.append(zstandard.ZstdCompressor(dict_data=data, compression_params=params).compress)
         ordinary, toxic = two
-        head, kept = CARRIER.encode(), {}
+        head, kept, shares = CARRIER.encode(), {}, re.compile(self.shared).search
 
         def gain(word: str) -> float:
             got = kept.get(word)
@@ -60,13 +72,18 @@ class Model:
                 if len(kept) >= CACHE:
                     kept.clear()
                 w = _window(word)
-                got = kept[word] = (len(ordinary(head + w)) - len(toxic(head + w))) / len(w)
+                got = kept[word] = len(ordinary(head + w)) - len(toxic(head + w)) if shares(w) else 0
             return got
 
         return gain
 
-    def score(self, found: int) -> float:
-        return self.chance[min(found, STEPS - 1)]
+    def features(self, gains: list[float]) -> list[float]:
+        found = [sum(g >= x for g in gains) for x in LEVELS]
+        n = len(gains)
+        return [*(np.log1p(x) for x in found), *(min(1.0, 20 * x / (n + 10)) for x in found), np.log1p(n) / 5, 1.0]
+
+    def score(self, gains: list[float]) -> float:
+        return float(1 / (1 + np.exp(-np.clip(np.dot(self.features(gains), self.beta), -30, 30))))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
@@ -78,54 +95,61 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     def make():
         def rows(batch):
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield y, sorted(set(words(text.as_py())))
+                yield y, sorted(words(text.as_py()))
 
         return rows
 
     sample = table(map_rows(labelled_sample(docs, labels, "toxic", most).select("y", "text"), "y int, words array<string>", make), "toxic_sample")
-    seen, total = (Counter(), Counter()), [0, 0]
-    for row in sample.toLocalIterator():
-        total[row.y] += 1
-        seen[row.y].update(row.words)
-    if not total[1]:
+    if not sample.where("y = 1").limit(1).count():
         return Model()
-    odds = {w: np.log((c + 0.5) / (total[1] + 1)) - np.log((seen[0][w] + 0.5) / (total[0] + 1)) for w, c in seen[1].items() if c >= LEAST_DOCS}
-    weight = {w: x * seen[1][w] for w, x in odds.items() if x > 1}
-    if not weight:
-        return Model(chance=(total[1] / sum(total),) * STEPS)
-    best = max(weight.values())
-    marks = sorted((w for w, x in weight.items() if x >= LEAST_SHARE * best), key=lambda w: (weight[w], w))[-MARK_WORDS:]
-    common = [w for w, _ in sorted(seen[0].items(), key=lambda x: (-x[1], x[0]))[:ORDINARY_WORDS] if w not in weight][::-1]
-    head, plain = CARRIER.encode(), b"".join(map(_window, common))
-    model = Model(plain + head, plain + b"".join(map(_window, marks)) + head)
-
+    rows = [(row.y, row.words) for row in sample.toLocalIterator()]  # at most `most`
+
+    def weights(some: list, forms) -> tuple[dict, Counter]:
+        seen, n = (Counter(), Counter()), [0, 0]
+        for y, kept in some:
+            n[y] += 1
+            seen[y].update({x for w in kept for x in forms(w)})
+        odds = {w: np.log((c + 0.5) / (n[1] + 1)) - np.log((seen[0][w] + 0.5) / (n[0] + 1)) for w, c in seen[1].items() if c >= LEAST_DOCS}
+        return {w: x * seen[1][w] for w, x in odds.items() if x > 1}, seen[0]
+
+    def best(weight: dict) -> list[str]:
+        least = LEAST_SHARE * max(weight.values(), default=0)
+        picked: list[str] = []
+        for w in sorted((w for w, x in weight.items() if x >= least), key=lambda w: (-weight[w], -len(w), w)):
+            if not any(w.startswith(p) or p.startswith(w) for p in picked):
+                picked.append(w)
+        return picked[:MARK_WORDS]
+
+    weight, ordinary = weights(rows, lambda w: (f" {w} ",))
+    marks = best(weight)
+    marked = set(marks)
+    rest = [(y, kept) for y, kept in rows if marked.isdisjoint(f" {w} " for w in kept)]
+    starts = best(weights(rest, lambda w: {f" {w[:k]}" for k in STARTS if k <= len(w)})[0])
+    common = [w for w, _ in sorted(ordinary.items(), key=lambda x: (-x[1], x[0]))[:ORDINARY_WORDS] if w not in weight][::-1]
+    # each mark stands behind the carrier's end, so that one match can run from the carrier into it
+    added = b"".join((CARRIER[-8:] + w).encode("utf-8", "surrogatepass") for w in [*starts[::-1], *marks[::-1]])
+    model = Model("".join(common).encode("utf-8", "surrogatepass"), added)
     gain = model.gains()
-    tops = []
-    for row in sample.toLocalIterator():
-        tops.append((row.y, sorted(map(gain, row.words), reverse=True)[:STEPS]))
-    y = np.array([t[0] for t in tops])
-    first = np.array([t[1][0] if t[1] else 0.0 for t in tops])
-    levels = np.unique(first[first > 0])
-    if not len(levels):
-        return Model(chance=(total[1] / sum(total),) * STEPS)
-    right = [((first >= x) == y).sum() for x in levels]
-    model.least = float(levels[int(np.argmax(right))])
-    found = np.array([sum(g >= model.least for g in t[1][: STEPS - 1]) for t in tops])
-    chance = [(y[found == k].sum() + 0.5) / ((found == k).sum() + 1) for k in range(STEPS)]
-    model.chance = tuple(float(x) for x in np.maximum.accumulate(chance))
+    x = np.array([model.features([gain(w) for w in kept]) for _, kept in rows])
+    y = np.array([y for y, _ in rows], float)
+    model.beta[:] = 0
+    for _ in range(25):
+        p = 1 / (1 + np.exp(-np.clip(x @ model.beta, -30, 30)))
+        slope = x.T @ (x * (p * (1 - p))[:, None]) + 0.05 * np.eye(x.shape[1])
+        model.beta = model.beta + np.linalg.solve(slope, x.T @ (y - p) - 0.05 * model.beta)
     return model
 
 
 def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1), windows (distinct toxic ones) for each row; null and empty texts have no window and still a score."""
+    """doc_id, score (0 to 1), windows (distinct ones that gain four bytes) for each row; null and empty texts have no window and still a score."""
 
     def make():
-        gain, least = model.gains(), model.least
+        gain = model.gains()
 
         def rows(batch):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = sum(gain(w) >= least for w in set(words(text.as_py())))
-                yield doc_id, model.score(found), found
+                got = [gain(w) for w in words(text.as_py())]
+                yield doc_id, model.score(got), sum(g >= LEVELS[2] for g in got)
 
         return rows
 
