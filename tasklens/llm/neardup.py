@@ -6,8 +6,9 @@ flips one of 256 parity bits, and the population count of two sketches' XOR esti
 whose estimate lies beyond a wide margin are dropped; all others are confirmed on the full sets.
 
 No step lists all pairs of a group. Equal sets are one class from the start. Each class is first linked to the best of
-the least members of its buckets, and components are taken. Then only pairs of one bucket that lie in different
-components are compared, until none is left; a link inside a component cannot change the result.
+the least members of its buckets, and components are taken. Members of buckets that still lie in different components
+then meet by the rare shingles of their prefixes, which loses no link of theirs; one inside a component cannot change
+the result.
 """
 
 from __future__ import annotations
@@ -105,13 +106,17 @@ def _sets(docs: DataFrame) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), "id long, set array<long>", make)
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    sets = table(_sets(docs.join(sized(ids), "doc_id", "left_semi")), "sets")
+def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """id, set for the documents named in ids (id); rows of one doc_id with several texts: the same one stands for it."""
+    sets = table(_sets(docs.join(sized(table(ids.withColumnRenamed("id", "doc_id").distinct(), "ids")), "doc_id", "left_semi")), "sets")
     if sets.groupBy("id").count().where("count > 1").limit(1).count():
-        # rows of one doc_id with several texts: the same one stands for it in all pairs
         sets = table(sets.groupBy("id").agg(F.max("set").alias("set")), "sets")
+    return sets
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    sets = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
@@ -124,6 +129,27 @@ def _different(x: str, y: str):
     return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(1, 4)), F.bit_count(F.col(x)[0].bitwiseXOR(F.col(y)[0])))
 
 
+def _across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a, b) of different parts, for apart (id, part, odd) with the full sets: loses no link.
+
+    Shingles stand in one order, rare ones first. The first shingle that two linked sets share stands so early in both
+    that what follows it can still make up the overlap (prefix and positional filter; Bayardo et al., 2007, Xiao et al.,
+    2008). Members of a large group that are linked to nothing differ from it by rare shingles, so few pairs meet. Of a
+    shingle's parts the largest is never compared with itself.
+    """
+    rows = sets.select("id", F.explode("set").alias("h"))
+    often = table(rows.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "often")
+    ordered = rows.join(often, "h", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "h"))).alias("o"))
+    first = ordered.withColumn("n", F.size("o")).withColumn("o", F.expr(f"slice(o, 1, cast(n - ceil(n * {percent} / 100) + 1 AS int))"))
+    early = first.select("id", "n", F.posexplode("o").alias("at", "x")).where("x.f > 1").select("id", "n", "at", F.col("x.h").alias("h"))
+    early = table(early.join(apart, "id"), "prefixes")
+    main = early.groupBy("h", "part").count().groupBy("h").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("h", "main")
+    early = table(early.join(main, "h"), "mixed_prefixes")
+    left, right = early.where("part <> main").toDF("h", "a", "na", "ia", "pa", "oa", "ma"), early.toDF("h", "b", "nb", "ib", "pb", "ob", "mb")
+    met = left.join(right, (left.h == right.h) & F.expr(f"(pb = mb OR pa < pb) AND {100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)") & (_different("oa", "ob") <= MOST_DIFFERENT))
+    return table(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "late")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text; other columns are ignored).
 
@@ -153,13 +179,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     same = table(same.unionByName(links), "links")
     parts = table(connected_components(same, "a", "b"), "parts")
 
-    # pairs of one bucket that lie apart as yet
-    placed = members.select("key", "id").join(traits, "id").join(parts.withColumnRenamed("node", "id"), "id", "left").withColumn("part", F.coalesce("component", "id"))
+    # documents of a bucket whose members lie in several components as yet
+    placed = members.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    apart = table(placed.join(sized(table(mixed, "mixed")), "key", "left_semi").select("key", "id", "n", "odd", "part"), "apart")
-    left, right = apart.toDF("key", "a", "na", "oa", "pa"), apart.toDF("key", "b", "nb", "ob", "pb")
-    met = left.join(right, (left.key == right.key) & (F.col("pa") < F.col("pb")) & F.expr(size_ok("na", "nb")) & (_different("oa", "ob") <= MOST_DIFFERENT))
-    late = table(met.select("a", "b").distinct(), "late")
+    apart = table(placed.join(sized(table(mixed, "mixed")), "key", "left_semi").select("id", "part").distinct().join(whole.select("id", "odd"), "id"), "apart")
+    late = _across(apart, _full_sets(docs, apart.select("id")), percent)
     more = _confirmed(late, docs, percent)
     parts = table(connected_components(same.unionByName(more), "a", "b"), "parts")
 

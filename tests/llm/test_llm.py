@@ -30,23 +30,36 @@ def shingles(t):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def test_near_duplicates_match_brute_force(docs):
+def variants(first_id, count):
+    """Near copies of one text with 0 to 8 changed words: some are linked to many others, some to none."""
+    words, rows = [f"w{x}" for x in np.random.default_rng(99).integers(0, 5000, 150)], []
+    for k in range(count):
+        rng, mine = np.random.default_rng(1000 + k), list(words)
+        for at in rng.integers(0, 150, k % 9):
+            mine[at] = f"x{rng.integers(0, 40)}"
+        rows.append((first_id + k, " ".join(mine), "s0", "x"))
+    return rows
+
+
+def test_near_duplicates_match_brute_force(spark, docs):
+    docs = docs.union(spark.createDataFrame(variants(1000, 120), docs.schema))
     rows = docs.collect()
     sets = {r.doc_id: shingles(r.text) for r in rows}
-    parent = {i: i for i in sets}
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
-                x, y = sorted((root(a), root(b)))
-                parent[y] = x
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs).collect()}
-    assert got == {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
+    for percent in (80, 85):
+        parent = {i: i for i in sets}
+
+        def root(i):
+            while parent[i] != i:
+                i = parent[i]
+            return i
+
+        for a in sets:
+            for b in sets:
+                if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    x, y = sorted((root(a), root(b)))
+                    parent[y] = x
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(docs, percent).collect()}
+        assert got == {i: (len(s), root(i), root(i) == i) for i, s in sets.items()}
     assert neardup.near_duplicates(docs.limit(0)).count() == 0
 
 
