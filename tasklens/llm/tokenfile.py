@@ -54,6 +54,7 @@ class _Model:
         self.counts = np.zeros(ALPHABET, np.int64)
         self.choices = np.ones((LEVELS * LEVELS, 3), np.int64) + np.array([0, 0, 1])
         self.choices[:LEVELS, 0] = self.choices[::LEVELS, 1] = 0
+        self.possible = np.minimum(self.choices, 1)
         self.steps, self.next_table = 0, 0
 
     def tables(self) -> None:
@@ -67,7 +68,8 @@ class _Model:
             self.freq = freq.astype(np.uint64)
             self.start = (np.cumsum(freq) - freq).astype(np.uint64)
             self.slot = np.repeat(np.arange(ALPHABET, dtype=np.int32), freq)
-        scaled = self.choices * ((1 << CHOICE_BITS) - 3) // self.choices.sum(axis=1, keepdims=True)
+        # every choice that can come up keeps a share, however rare it has been
+        scaled = self.possible + self.choices * ((1 << CHOICE_BITS) - 3) // self.choices.sum(axis=1, keepdims=True)
         scaled[:, 2] += (1 << CHOICE_BITS) - scaled.sum(axis=1)
         self.part = scaled.astype(np.uint64)
         self.part_start = (np.cumsum(scaled, axis=1) - scaled).astype(np.uint64)

@@ -81,6 +81,26 @@ def test_token_files_round_trip(docs):
         start += len(ids)
 
 
+@pytest.mark.parametrize("n", [0, 1, 5000, 300_000])
+def test_blocks_round_trip(n):
+    rng = np.random.default_rng(n)
+    ids = np.tile(np.arange(64), n // 64 + 1)[:n].astype("<u2")
+    odd = rng.random(n) < 1e-3
+    odd[: n // 2] = False
+    ids[odd] = rng.integers(0, 1 << 16, int(odd.sum()))
+    got, lengths = tokenfile.decode_block(tokenfile.encode_block(ids, [n] if n else []))
+    assert got.tolist() == ids.tolist() and lengths.sum() == n
+
+
+def test_choices_that_have_long_been_absent_keep_a_share():
+    model = tokenfile._Model()
+    model.choices[9, 0] += 10**7  # a state of both contexts seen, in which order 2 was always right
+    model.choices[3, 2] += 10**7  # one in which order 2 was never seen
+    model.tables()
+    assert (model.part[9] > 0).all() and model.part[3].tolist()[0] == 0 and (model.part[3, 1:] > 0).all()
+    assert (model.part.sum(axis=1) == 1 << tokenfile.CHOICE_BITS).all()
+
+
 def test_packing_keeps_every_id(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
