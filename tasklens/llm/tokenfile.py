@@ -51,7 +51,7 @@ class _Model:
         self.one_level = np.zeros(ALPHABET, np.int8)
         self.two = np.zeros(1 << CONTEXT_BITS, np.int32)
         self.two_level = np.zeros(1 << CONTEXT_BITS, np.int8)
-        self.counts = np.zeros(ALPHABET, np.int64)
+        self.counts, self.fresh = np.zeros(ALPHABET, np.int64), []
         self.choices = np.ones((LEVELS * LEVELS, 3), np.int64) + np.array([0, 0, 1])
         self.choices[:LEVELS, 0] = self.choices[::LEVELS, 1] = 0
         self.possible = np.minimum(self.choices, 1)
@@ -61,19 +61,28 @@ class _Model:
         """The order-0 frequencies anew, at steps that grow further apart."""
         if self.steps == self.next_table:
             self.next_table = max(self.steps + 1, self.steps * 5 // 4)
+            if self.fresh:
+                self.counts += np.bincount(np.concatenate(self.fresh), minlength=ALPHABET)
+                self.fresh = []
             seen = int(self.counts.sum())
             spare = (1 << TOTAL_BITS) - ALPHABET
             freq = 1 + (self.counts * spare // seen if seen else np.full(ALPHABET, spare // ALPHABET))
             freq[0] += (1 << TOTAL_BITS) - int(freq.sum())
             self.freq = freq.astype(np.uint64)
             self.start = (np.cumsum(freq) - freq).astype(np.uint64)
-            self.slot = np.repeat(np.arange(ALPHABET, dtype=np.int32), freq)
+            self.slots = None
         # every choice that can come up keeps a share, however rare it has been
         scaled = self.possible + self.choices * ((1 << CHOICE_BITS) - 3) // self.choices.sum(axis=1, keepdims=True)
         scaled[:, 2] += (1 << CHOICE_BITS) - scaled.sum(axis=1)
         self.part = scaled.astype(np.uint64)
         self.part_start = (np.cumsum(scaled, axis=1) - scaled).astype(np.uint64)
 
+    def slot(self, spot: np.ndarray) -> np.ndarray:
+        """The ids whose order-0 intervals hold the given places."""
+        if self.slots is None:
+            self.slots = np.repeat(np.arange(ALPHABET, dtype=np.int32), self.freq.astype(np.int64))
+        return self.slots[spot]
+
     def contexts(self, last: np.ndarray, before: np.ndarray) -> None:
         self.c1 = last
         mixed = (before.astype(np.uint64) << _S16 | last.astype(np.uint64)) * SPREAD
@@ -87,7 +96,7 @@ class _Model:
 
     def learn(self, ids: np.ndarray, choice: np.ndarray) -> None:
         self.choices += 24 * np.bincount(self.state * 3 + choice, minlength=LEVELS * LEVELS * 3).reshape(-1, 3)
-        self.counts += np.bincount(ids, minlength=ALPHABET)
+        self.fresh.append(ids)
         for table_, level, context, guess, was in ((self.one, self.one_level, self.c1, self.p1, self.l1), (self.two, self.two_level, self.c2, self.p2, self.l2)):
             right = guess == ids
             table_[context] = ids
@@ -205,7 +214,7 @@ def decode_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
                 some_low, some_span = low[zero], span[zero]
                 unit = some_span >> U(TOTAL_BITS)
                 spot = np.minimum((queue.value[zero] - some_low) // unit, U((1 << TOTAL_BITS) - 1))
-                row[zero] = model.slot[spot.astype(np.intp)]
+                row[zero] = model.slot(spot.astype(np.intp))
                 some_low, some_span = _narrowed(some_low, some_span, model.start[row[zero]], model.freq[row[zero]], TOTAL_BITS)
                 for at in _shifts(some_low, some_span):
                     queue.take(zero[at])
