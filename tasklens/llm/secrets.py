@@ -1,9 +1,10 @@
 """Secret scans: three base patterns, and random strings by token efficiency.
 
-A string of ordinary words takes few tokens for its length; a random one takes many. Runs of 20 or more characters that
-mix letters and digits and have fewer than LEAST_RATIO characters for each token of a public byte-level vocabulary are
-spans of the kind `random`, unless they are known digests (hex of 32, 40, 56, 64, 96 or 128 digits, UUIDs) or
-identifiers (words joined by _, -, /, . or camel case), or overlap a base span.
+A string of ordinary words takes few tokens for its length; a random one takes many. Runs of 20 or more characters with
+fewer than LEAST_RATIO characters for each token of a public byte-level vocabulary are spans of the kind `random`. So
+are such stretches of a run between its pieces of ordinary words, where / = _ and - part the pieces: a key at the end of a
+path or behind its name. Known digests (hex of 32, 40, 56, 64, 96 or 128 digits, UUIDs), identifiers whose parts are
+words of the vocabulary, letters of few kinds and what overlaps a base span are none.
 """
 
 from __future__ import annotations
@@ -25,7 +26,9 @@ KINDS = ("assign", "access", "hex", "random")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 LEAST_RATIO = 2.2
 DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z")
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4})(?:[_/=.-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4}(?![0-9])))*\Z")
+PARTS, PIECE = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|\+"), re.compile(r"[A-Za-z0-9+]+")
+#: Length of a run; of a word that counts for an identifier; of a stretch's longest piece and its kinds of letters if it has no digits.
+LEAST_RUN, LEAST_WORD, LEAST_PIECE, LEAST_KINDS = 20, 4, 8, 8
 KEYWORDS = re.compile(r"[:=]")
 RANDOM_CACHE = 50_000
 
@@ -37,20 +40,51 @@ class Scanner:
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, bool] = {}
+        self.words = {w.lower() for w in (t.decode("ascii", "replace").strip() for t in ranks) if w.isascii() and w.isalpha()}
+        self.known: dict[str, tuple[tuple[int, int], ...]] = {}
+
+    def ratio(self, run: str) -> float:
+        # very long runs are cut for the tokenizer, whose merges take more than linear time; the ratio is of the whole
+        return len(run) / sum(len(self.encode(run[i : i + 400])) for i in range(0, len(run), 400))
+
+    def is_identifier(self, run: str) -> bool:
+        """Words of the vocabulary, those of LEAST_WORD letters or more being half of the run, joined by separators, digits or case."""
+        parts = PARTS.findall(run)
+        if not all(len(p) <= 4 if p.isdigit() else p.lower() in self.words for p in parts):
+            return False
+        return 2 * sum(len(p) for p in parts if len(p) >= LEAST_WORD and p.isalpha()) >= len(run)
 
     def is_random(self, run: str) -> bool:
+        letters = {c for c in run if c.isalpha()}
+        if len(run) < LEAST_RUN or not letters or DIGEST.match(run) or self.is_identifier(run):
+            return False
+        if not any(c.isdigit() for c in run) and (len(letters) < LEAST_KINDS or max(map(len, PIECE.findall(run))) < LEAST_PIECE):
+            return False
+        return self.ratio(run) < LEAST_RATIO
+
+    def random_parts(self, run: str) -> tuple[tuple[int, int], ...]:
+        """(start, end) of the random stretches of a run, or of the whole run if it is random itself."""
         got = self.known.get(run)
         if got is None:
-            mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
-            got = mixed and not DIGEST.match(run) and not (len(run) <= 200 and IDENTIFIER.match(run))
-            # very long runs are cut for the tokenizer, whose merges take more than linear time; the ratio is of the whole
-            got = got and len(run) < LEAST_RATIO * sum(len(self.encode(run[i : i + 400])) for i in range(0, len(run), 400))
+            got = ((0, len(run)),) if self.is_random(run) else tuple(self._stretches(run))
             if len(self.known) >= RANDOM_CACHE:
                 self.known.clear()
             self.known[run] = got
         return got
 
+    def _stretches(self, run: str):
+        start = end = 0
+        pieces = list(PIECE.finditer(run))
+        for m in pieces if len(pieces) > 1 else ():
+            if self.ratio(m[0]) < LEAST_RATIO and not DIGEST.match(m[0]) and not self.is_identifier(m[0]):
+                start, end = start if end else m.start(), m.end()
+                continue
+            if end and self.is_random(run[start:end]):
+                yield start, end
+            end = 0
+        if end and self.is_random(run[start:end]):
+            yield start, end
+
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         """(start, kind's place in KINDS, end), ascending; ends are exclusive."""
         out = [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -61,11 +95,13 @@ class Scanner:
         base = sorted(out)
         at, reach = 0, -1
         for m in RUN.finditer(text):
-            while at < len(base) and base[at][0] < m.end():
-                reach = max(reach, base[at][2])
-                at += 1
-            if m.start() >= reach and self.is_random(m[0]):
-                out.append((m.start(), 3, m.end()))
+            for a, b in self.random_parts(m[0]):
+                a, b = m.start() + a, m.start() + b
+                while at < len(base) and base[at][0] < b:
+                    reach = max(reach, base[at][2])
+                    at += 1
+                if a >= reach:
+                    out.append((a, 3, b))
         return sorted(out)
 
 

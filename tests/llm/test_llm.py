@@ -193,6 +193,18 @@ def test_secrets(docs, spark):
     assert clean[2] is None and "abcd1234" not in clean[1] and "AKIA" not in clean[1] and clean[1].startswith("é ")
 
 
+def test_random_strings():
+    find = secrets.scanner(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).spans
+    rng = np.random.default_rng(5)
+    for kinds in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+        for n in (20, 24, 32):
+            keys = ["".join(rng.choice(list(kinds), n)) for _ in range(50)]
+            for before in ("", "/usr/local/share/applications/configuration/defaults/", "production_credentials_of_the_service="):
+                assert sum(find(f"see {before}{k} here")[-1:] != [] and find(f"see {before}{k} here")[-1][2] == 4 + len(before) + n for k in keys) >= 49
+    for plain in ("user_id_42_page_7_item_3", "/usr/local/share/applications/foo_bar", "internationalization", "getElementsByTagNameNS", "a/b/c/d/e/f/g/h/i/j/k", "Rechtsschutzversicherungsgesellschaften", "objects/" + "0123456789" * 4):
+        assert not find(plain) or find(plain)[0][1] == 2
+
+
 def test_contamination_matches_brute_force(spark, docs):
     items = spark.createDataFrame([(0, text(7, 37)), (1, text(999, 20)), (2, "a b"), (3, None), (4, " ".join(text(105 - 100, 9000).split()[100:130]) + " odd")], "item_id long, text string")
     sets = {r.doc_id: r.text for r in docs.collect()}
