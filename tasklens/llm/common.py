@@ -104,3 +104,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
 
 
+def with_row_key(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """docs with row_key, and whether that is the doc_id. If an id is null or repeated, each row has a number of its own."""
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count()
+    if odd:
+        return table(docs.withColumn("row_key", F.monotonically_increasing_id()), "keyed"), False
+    return docs.withColumn("row_key", F.col("doc_id")), True

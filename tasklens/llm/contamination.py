@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasklens.llm.common import sized, table
+from tasklens.llm.common import sized, table, with_row_key
 from tasklens.llm.urlrules import LOWER, UPPER
 
 WORDS = 5
@@ -76,6 +76,8 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
-    """docs without those that hold a test item; all columns stay, and rows with a null doc_id are kept."""
-    gone = table(leaks(docs, items, percent).select(F.col("doc_id").alias("gone_id")).distinct(), "leaking")
-    return docs.join(sized(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """docs without the rows that hold a test item, whether their doc_id is null, repeated or not; all columns stay."""
+    rows, _ = with_row_key(docs)
+    found = leaks(rows.select(F.col("row_key").alias("doc_id"), "text"), items, percent)
+    gone = table(found.select(F.col("doc_id").alias("gone_id")).distinct(), "leaking")
+    return rows.join(sized(gone), F.col("row_key") == F.col("gone_id"), "left_anti").drop("row_key")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklens.llm.common import map_rows, sized, table
+from tasklens.llm.common import map_rows, sized, table, with_row_key
 from tasklens.llm.graph import connected_components
 
 WORDS, BANDS, ROWS = 5, 32, 5
@@ -193,6 +193,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """docs without the documents that near_duplicates doesn't keep; all columns stay as they are."""
-    gone = table(near_duplicates(docs, percent).where("NOT kept").select(F.col("doc_id").alias("gone_id")).distinct(), "gone")
-    return docs.join(sized(gone), F.col("doc_id") == F.col("gone_id"), "left_anti")
+    """docs with one row of each group of near duplicates, the one of the least doc_id; all columns stay as they are.
+
+    Rows whose doc_id is null or repeated are compared like other rows. A null doc_id stays only where its group has no other.
+    """
+    rows, own = with_row_key(docs)
+    near = near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text"), percent)
+    if own:
+        gone = near.where("NOT kept").select(F.col("doc_id").alias("gone_id"))
+    else:
+        near = table(near.select(F.col("doc_id").alias("row_key"), "component_id"), "near")
+        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+        groups = table(near.join(rows.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(F.min(order)["row_key"].alias("stays")), "groups")
+        gone = near.join(groups.select(F.col("stays").alias("row_key")), "row_key", "left_anti").select(F.col("row_key").alias("gone_id"))
+    gone = table(gone.distinct(), "gone")
+    return rows.join(sized(gone), F.col("row_key") == F.col("gone_id"), "left_anti").drop("row_key")

@@ -221,6 +221,18 @@ def test_contamination_matches_brute_force(spark, docs):
     assert got == want and len(want) >= 3
 
 
+def test_null_and_repeated_ids_are_examined(spark):
+    a, b, c, item = text(1, 60), text(2, 60), text(3, 60), text(4, 30)
+    rows = [(3, a), (1, a), (1, a), (None, a), (None, b), (None, b), (7, c), (7, b + " " + item), (None, c + " " + item), (8, ""), (None, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, n int")
+    left = sorted(r.n for r in neardup.deduplicated(docs, 80).collect())
+    assert len(left) == 7 and left[0] in (1, 2) and left[1] in (4, 5) and left[2:] == [6, 7, 8, 9, 10]
+    items = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert sorted(r.n for r in contamination.decontaminated(docs, items).collect()) == [0, 1, 2, 3, 4, 5, 6, 9, 10]
+    whole = docs.where("n IN (0, 1, 6, 9)")
+    assert sorted(r.n for r in neardup.deduplicated(whole, 80).collect()) == [1, 6, 9] and neardup.deduplicated(docs, 80).columns == docs.columns
+
+
 def test_url_aliases(spark):
     link = '<link rel="canonical" href="https://a.example.com/de/x">'
     pages = spark.createDataFrame([(1, "https://a.example.com/de/x", ""), (2, "http://plain.example.org/q?z", link), (3, "http://b.example.net/en/1", link), (4, None, None), (5, "http://c.net", "")], "page_id long, url string, html string")
