@@ -241,6 +241,32 @@ def test_url_aliases(spark):
     assert got == {1: ("example.com/de/", "block"), 2: (None, "allow"), 3: ("example.net/en/", "allow"), 4: (None, "allow"), 5: (None, "allow")}
 
 
+def test_alias_targets_resolve_like_urljoin(spark):
+    from urllib.parse import urljoin, urlsplit
+
+    bases = ["http://A.com", "https://a.com/", "http://a.com/x/y/z.html?id=1#top", "http://a.com/x/y/"]
+    refs = ["//b.com/x", "//b.com", "page2.html", "../x", "./k", "../../../x/..", "/", "/view?id=2", "?id=2", "#part", ".", "..", "a/./b/../c", "http://C.com", "https://c.com/a/../b?q#f", "g?y/../x", "mailto:x@y.z"]
+    pages = spark.createDataFrame([(b, f'<link rel="canonical" href="{r}">') for b in bases for r in refs], "url string, html string")
+
+    def node(url):
+        u = urlsplit(url)
+        return u.netloc.lower() + (u.path or "/") + (f"?{u.query}" if u.query else "")
+
+    want = {(node(b), node(urljoin(b, r))) for b in bases for r in refs if ":" not in r or "://" in r}
+    want = {(a, d.replace("/a/../b", "/b")) for a, d in want}
+    assert {tuple(r) for r in urlrules.alias_edges(pages).collect()} == want
+
+
+def test_url_classes_follow_whole_targets(spark):
+    def link(to):
+        return f"<link rel=canonical href='{to}'>"
+
+    rows = [(1, "http://m.example.com/a", link("//b.net/x")), (2, "http://m.example.com/view?id=1", link("http://blocked.net")), (3, "http://m.example.com/view?id=2", ""), (4, "http://m.example.com/d/p1", link("page2")), (5, "http://m.example.com/d/page2", link("../e")), (6, "http://m.example.com/e", '<meta http-equiv=refresh content="0; url=//blocked.net/">')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.verdict for r in urlrules.judge_urls(pages).collect()}
+    assert got == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block", 6: "block"}
+
+
 def test_isotonic_is_monotone():
     x, y = quality.isotonic(np.array([0.1, 0.2, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 0, 1.0]))
     assert (np.diff(x) > 0).all() and (np.diff(y) >= 0).all()
