@@ -134,6 +134,36 @@ def test_dealer_holds_proportions():
         assert all(abs(t - size / dealer.windows) < 1 for t, size in zip(took, lengths))
 
 
+def test_shares_hold_until_a_queue_ends():
+    lengths, shares = [50_000, 7, 12_345, 30_000], {"2": 0.5, "0": 0.2}
+    dealer = packing.Dealer(lengths, 2048, None, shares)
+    places = sorted((to, n) for q, size in enumerate(lengths) for to, n in dealer.runs(q, 0, size))
+    ends = [to + n for to, n in places]
+    assert [to for to, _ in places] == [0, *ends[:-1]] and ends[-1] == sum(lengths)
+    size = sum(lengths) / dealer.windows
+    for w in range(int(12_345 / (0.5 * size)) - 1):
+        took = dealer.given(w + 1)[0] - dealer.given(w)[0]
+        assert abs(took[2] - 0.5 * size) < 1 and abs(took[0] - 0.2 * size) < 1
+    with pytest.raises(ValueError):
+        packing.Dealer(lengths, 2048, None, {"0": 1.0})
+
+
+def test_many_sources_keep_their_queues(spark, docs, monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+
+    def places(some, shares=None):
+        out = {}
+        for p in packing.pack(some, path, window_sequences=1, shares=shares).collect():
+            out.update({(p.doc_id, p.start + k): p.sequence_id * 1024 + p.offset + k for k in range(p.length)})
+        return out
+
+    few = {s: places(docs, s and dict(s)) for s in (None, (("s2", 0.6), (None, 0.1)))}
+    assert few[None] != few[("s2", 0.6), (None, 0.1)]
+    monkeypatch.setattr(packing, "MOST_QUEUES", 2)
+    for s, want in few.items():
+        assert places(docs, s and dict(s)) == want and sorted(want.values()) == list(range(len(want)))
+
+
 def test_fingerprints(docs):
     rows = sorted(docs.collect(), reverse=True)
     got = {r.doc_id: r for r in fingerprint.fingerprints(docs).collect()}
