@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tasklens.llm.common import sized, table, with_row_key
+from tasklens.llm.common import fresh, sized, table, with_row_key
 from tasklens.llm.urlrules import LOWER, UPPER
 
 WORDS = 5
@@ -76,8 +76,12 @@ def leaks(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, percent: int = 80) -> DataFrame:
-    """docs without the rows that hold a test item, whether their doc_id is null, repeated or not; all columns stay."""
-    rows, _ = with_row_key(docs)
-    found = leaks(rows.select(F.col("row_key").alias("doc_id"), "text"), items, percent)
-    gone = table(found.select(F.col("doc_id").alias("gone_id")).distinct(), "leaking")
-    return rows.join(sized(gone), F.col("row_key") == F.col("gone_id"), "left_anti").drop("row_key")
+    """docs without the rows that hold a test item, whether their doc_id is null, repeated or not; all columns stay.
+
+    Null and blank texts hold nothing and stay. No items leave docs as they are; no rows give none.
+    """
+    key = fresh(docs, "row_key")
+    rows, _ = with_row_key(docs, key)
+    found = leaks(rows.select(F.col(key).alias("doc_id"), "text"), items, percent)
+    gone = table(found.select(F.col("doc_id").alias(key)).distinct(), "leaking")
+    return rows.join(sized(gone), key, "left_anti").select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklens.llm.common import map_stream, shuffle_partitions
+from tasklens.llm.common import map_stream, shuffle_partitions, small_batches
 
 WINDOW, REACH, BITS, PLACES, MOST_FEATURES, STEP = 16, 24, 2048, 5, 160, 1 << 18
 _S = [np.uint64(x) for x in (29, 32, 11)]
@@ -109,12 +109,18 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 def _buckets(docs: DataFrame, n: int) -> DataFrame:
     """docs (doc_id, text) with a bucket by range of doc_id, and the first rows of each bucket once more behind the one before it.
 
-    Buckets ascend as doc_id descends; the first bucket's head is also behind the last one. Only bucket heads' ids,
-    n at most, reach the driver.
+    Buckets ascend as doc_id descends; the first bucket's head is also behind the last one. Borders and the ids of the
+    buckets' heads, n + 2 of each at most, reach the driver; a row finds its bucket by bisection.
     """
-    cuts = sorted({int(x) for x in docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n)}, reverse=True) if n > 1 else []
-    at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    placed = docs.select("doc_id", "text").withColumn("bucket", F.when(F.col("doc_id").isNull(), F.lit(len(cuts) + 1)).otherwise(at).cast("int"))
+    found = docs.where("doc_id IS NOT NULL").approxQuantile("doc_id", [k / n for k in range(1, n)], 0.25 / n) if n > 1 else []
+    borders = np.array(sorted({int(x) for x in found}), np.int64)
+    last = len(borders) + 1  # of rows without an id
+
+    def at(ids: pa.Array) -> pa.Array:
+        place = len(borders) - np.searchsorted(borders, ids.fill_null(0).to_numpy(zero_copy_only=False), "right")
+        return pa.array(np.where(ids.is_null().to_numpy(zero_copy_only=False), last, place).astype(np.int32))
+
+    placed = docs.select("doc_id", "text").withColumn("bucket", F.arrow_udf(at, "int")(F.col("doc_id").cast("long")))
     heads = [(r.bucket, r.head) for r in placed.groupBy("bucket").agg(F.max("doc_id").alias("head")).orderBy("bucket").collect()]
     if not heads:
         return placed.withColumn("guest", F.lit(False))
@@ -132,7 +138,8 @@ def fingerprints(docs: DataFrame, buckets_per_partition: int = 4) -> DataFrame:
     a null doc_id comes last. A null text counts as empty. One document is its own next; no rows give none.
     """
     n = shuffle_partitions(docs.sparkSession)
-    dealt = _buckets(docs, min(2000, n * buckets_per_partition)).repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    small_batches(docs.sparkSession)
+    dealt = _buckets(docs, n * buckets_per_partition).repartition(n, "bucket").sortWithinPartitions("bucket", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
     def make():
         def stream(batches: Iterator[pa.RecordBatch]):

@@ -16,10 +16,10 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tasklens.llm.common import map_rows, sized, table, with_row_key
+from tasklens.llm.common import fresh, map_rows, sized, table, with_row_key
 from tasklens.llm.graph import connected_components
 
 WORDS, BANDS, ROWS = 5, 32, 5
@@ -55,8 +55,8 @@ def shingle_set(text: str | None) -> np.ndarray:
     w = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     if len(w) < WORDS:
         h = np.array([len(w)], np.uint64)
-        for k, x in enumerate(w):
-            h = h * _PLACE[0] + x * _PLACE[k]
+        for k in range(len(w)):
+            h = h * _PLACE[0] + w[k : k + 1] * _PLACE[k]
     else:
         n = len(w) - WORDS + 1
         h = w[:n] * _PLACE[0]
@@ -99,7 +99,7 @@ def _sets(docs: DataFrame) -> DataFrame:
     def make():
         def rows(batch: pa.RecordBatch):
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                yield i, shingle_set(text.as_py()).view(np.int64).tolist()
+                yield i, shingle_set(text.as_py()).view(np.int64)
 
         return rows
 
@@ -114,9 +114,8 @@ def _full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return sets
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    sets = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
     both = (
         pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a")
         .join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
@@ -135,16 +134,18 @@ def _across(apart: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     Shingles stand in one order, rare ones first. The first shingle that two linked sets share stands so early in both
     that what follows it can still make up the overlap (prefix and positional filter; Bayardo et al., 2007, Xiao et al.,
     2008). Members of a large group that are linked to nothing differ from it by rare shingles, so few pairs meet. Of a
-    shingle's parts the largest is never compared with itself.
+    shingle's parts the largest is never compared with itself. Shingles of one set only come first of all and can't be
+    shared, so they are counted and not sorted; places come from a window over one document, which spills, and every
+    join is one of two written tables, which Spark splits where a shingle is frequent.
     """
-    rows = sets.select("id", F.explode("set").alias("h"))
+    rows = sets.select("id", F.size("set").cast("long").alias("n"), F.explode("set").alias("h"))
     often = table(rows.groupBy("h").agg(F.count("*").alias("f")).where("f > 1"), "often")
-    ordered = rows.join(often, "h", "left").groupBy("id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("f", F.lit(1)).alias("f"), "h"))).alias("o"))
-    first = ordered.withColumn("n", F.size("o")).withColumn("o", F.expr(f"slice(o, 1, cast(n - ceil(n * {percent} / 100) + 1 AS int))"))
-    early = first.select("id", "n", F.posexplode("o").alias("at", "x")).where("x.f > 1").select("id", "n", "at", F.col("x.h").alias("h"))
-    early = table(early.join(apart, "id"), "prefixes")
-    main = early.groupBy("h", "part").count().groupBy("h").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("h", "main")
-    early = table(early.join(main, "h"), "mixed_prefixes")
+    own = Window.partitionBy("id")
+    placed = rows.join(often, "h").withColumn("at", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("f", "h")) - 1)
+    early = placed.where(f"at <= n - (n * {percent} + 99) div 100").select("id", "n", "at", "h")
+    early = table(early.join(sized(apart), "id"), "prefixes")
+    spread = early.groupBy("h", "part").count().groupBy("h").agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.count("*").alias("parts"))
+    early = table(early.join(sized(table(spread.where("parts > 1").select("h", "main"), "mains")), "h"), "mixed_prefixes")
     left, right = early.where("part <> main").toDF("h", "a", "na", "ia", "pa", "oa", "ma"), early.toDF("h", "b", "nb", "ib", "pb", "ob", "mb")
     met = left.join(right, (left.h == right.h) & F.expr(f"(pb = mb OR pa < pb) AND {100 + percent} * least(na - ia, nb - ib) >= {percent} * (na + nb)") & (_different("oa", "ob") <= MOST_DIFFERENT))
     return table(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "late")
@@ -175,7 +176,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         .withColumn("different", _different("oa", "ob")).where(size_ok("na", "nb")).where(F.col("different") <= MOST_DIFFERENT)
         .groupBy("a").agg(F.min(F.struct("different", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
     )
-    links = _confirmed(table(stars, "stars"), docs, percent)
+    stars = table(stars, "stars")
+    links = _confirmed(stars, _full_sets(docs, stars.select(F.explode(F.array("a", "b")).alias("id"))), percent)
     same = table(same.unionByName(links), "links")
     parts = table(connected_components(same, "a", "b"), "parts")
 
@@ -183,8 +185,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     placed = members.select("key", "id").join(parts.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("part"))
     mixed = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
     apart = table(placed.join(sized(table(mixed, "mixed")), "key", "left_semi").select("id", "part").distinct().join(whole.select("id", "odd"), "id"), "apart")
-    late = _across(apart, _full_sets(docs, apart.select("id")), percent)
-    more = _confirmed(late, docs, percent)
+    sets = _full_sets(docs, apart.select("id"))
+    more = _confirmed(_across(apart, sets, percent), sets, percent)
     parts = table(connected_components(same.unionByName(more), "a", "b"), "parts")
 
     placed = every.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
@@ -195,16 +197,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     """docs with one row of each group of near duplicates, the one of the least doc_id; all columns stay as they are.
 
-    Rows whose doc_id is null or repeated are compared like other rows. A null doc_id stays only where its group has no other.
+    Rows whose doc_id is null or repeated are compared like other rows, so of exact repeats one stays. A null doc_id
+    stays only where its group has no other. Null, empty and blank texts are linked to nothing and stay. No rows give
+    none; columns of any other name are carried along.
     """
-    rows, own = with_row_key(docs)
-    near = near_duplicates(rows.select(F.col("row_key").alias("doc_id"), "text"), percent)
+    key = fresh(docs, "row_key")
+    rows, own = with_row_key(docs, key)
+    near = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), percent)
     if own:
-        gone = near.where("NOT kept").select(F.col("doc_id").alias("gone_id"))
+        gone = near.where("NOT kept").select(F.col("doc_id").alias(key))
     else:
-        near = table(near.select(F.col("doc_id").alias("row_key"), "component_id"), "near")
-        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
-        groups = table(near.join(rows.select("row_key", "doc_id"), "row_key").groupBy("component_id").agg(F.min(order)["row_key"].alias("stays")), "groups")
-        gone = near.join(groups.select(F.col("stays").alias("row_key")), "row_key", "left_anti").select(F.col("row_key").alias("gone_id"))
-    gone = table(gone.distinct(), "gone")
-    return rows.join(sized(gone), F.col("row_key") == F.col("gone_id"), "left_anti").drop("row_key")
+        near = table(near.select(F.col("doc_id").alias(key), "component_id"), "near")
+        order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(key).alias("k"))
+        groups = near.join(rows.select(key, "doc_id"), key).groupBy("component_id").agg(F.min(order)["k"].alias(key))
+        gone = near.select(key).join(table(groups.select(key), "groups"), key, "left_anti")
+    return rows.join(sized(table(gone.distinct(), "gone")), key, "left_anti").select(*docs.columns)

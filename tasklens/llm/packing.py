@@ -171,7 +171,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 0, sequence: int = SEQUENCE,
     dealt = docs.select(queue.alias("queue"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(n, "queue", "doc_id").sortWithinPartitions("queue", "doc_id", "text")
 
     def tokenized():
-        encode, end, part = encoder(path, keeps_space=True).encode, struct.pack("<H", end_id), TaskContext.get().partitionId()
+        encode, end, part = encoder(__name__, path, keeps_space=True).encode, struct.pack("<H", end_id), TaskContext.get().partitionId()
 
         def stream(batches):
             now, before = None, 0

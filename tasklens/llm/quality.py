@@ -11,9 +11,10 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tasklens.llm.common import labelled_sample, map_rows, map_stream, table
+from tasklens.llm.common import labelled_sample, map_batches, map_rows, map_stream, table
 
 FEATURES, GAMMA, RIDGE, SEED = 256, 0.15, 1e-2, 7
 #: Most labelled rows that the model is fitted on, and partitions that sum them.
@@ -108,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
 
             return stream
 
-        return [np.frombuffer(r.part) for r in map_stream(seen, "part binary", make).collect()]
+        return [np.frombuffer(r.part) for r in map_stream(seen, "part binary", make).collect()]  # FIT_PARTITIONS rows at most
 
     moments = summed(lambda x, y: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]))
     if not moments:
@@ -147,16 +148,17 @@ def quality_scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
-    """docs whose score is at least threshold; columns and repeated rows stay as they are."""
-    schema = docs.schema
-    at = schema.names.index("text")
+    """docs whose score is at least threshold; columns and repeated rows stay as they are.
 
-    def run(batches):
-        import pyarrow as pa
+    Null and empty texts are scored like any other, long ones whole; no rows give none.
+    """
+    at = docs.columns.index("text")
 
-        for batch in batches:
+    def make():
+        def change(batch: pa.RecordBatch) -> pa.RecordBatch:
             x = np.array([statistics(t.as_py()) for t in batch.column(at)], float).reshape(-1, N_STATS)
-            if batch.num_rows:
-                yield batch.filter(pa.array(model.score(x) >= threshold))
+            return batch.filter(pa.array(model.score(x) >= threshold))
+
+        return change
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, make)

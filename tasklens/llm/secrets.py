@@ -13,10 +13,11 @@ import base64
 import hashlib
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tasklens.llm.common import map_rows
+from tasklens.llm.common import kept, map_batches, map_rows
 
 #: The base patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I)
@@ -105,13 +106,8 @@ class Scanner:
         return sorted(out)
 
 
-_made: dict = {}
-
-
 def scanner(ranks_path: str, pattern: str) -> Scanner:
-    if (ranks_path, pattern) not in _made:
-        _made[ranks_path, pattern] = Scanner(ranks_path, pattern)
-    return _made[ranks_path, pattern]
+    return kept(__name__, f"{ranks_path} {pattern}", lambda: Scanner(ranks_path, pattern))
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
@@ -141,7 +137,10 @@ def find_secrets(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def redacted(docs: DataFrame, ranks_path: str, pattern: str, mask: str = "[SECRET]") -> DataFrame:
-    """docs with every span (overlapping ones as one) replaced by mask in text and n_chars brought up to date; no row goes."""
+    """docs with every span (overlapping ones as one) replaced by mask in text and n_chars brought up to date; no row goes.
+
+    Null and empty texts stay as they are, long texts are scanned whole, and all other columns are carried along.
+    """
     schema = docs.schema
     at = schema.names.index("text")
 
@@ -155,14 +154,14 @@ def redacted(docs: DataFrame, ranks_path: str, pattern: str, mask: str = "[SECRE
             end = max(end, b)
         return "".join([*parts, text[end:]])
 
-    def run(batches):
-        import pyarrow as pa
-
+    def make():
         find = scanner(ranks_path, pattern).spans
-        for batch in batches:
+
+        def change(batch: pa.RecordBatch) -> pa.RecordBatch:
             texts = pa.array([clean(find, t.as_py()) for t in batch.column(at)], type=batch.schema.field(at).type)
-            columns = [texts if k == at else batch.column(k) for k in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+            return pa.RecordBatch.from_arrays([texts if k == at else batch.column(k) for k in range(batch.num_columns)], schema=batch.schema)
+
+        return change
 
-    out = docs.mapInArrow(run, schema)
+    out = map_batches(docs, make)
     return out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)) if "n_chars" in schema.names else out

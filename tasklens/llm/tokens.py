@@ -3,7 +3,8 @@
 A BPE tokenizer cuts a text into pre-tokens and merges inside each of them only, so the ids of a text are those of its
 chunks, wherever chunks end at pre-token borders. Words repeat far more often than texts, so chunks are looked up and
 only new ones go through the tokenizers library. The chunk borders used here are borders under the tokenizer's own
-pattern; the tests hold the ids against the library on whole texts.
+pattern; the tests hold the ids against the library on whole texts. The strings of the tokenizer's special tokens are
+matched in texts, as the library does unless told otherwise; a text that may have one goes through the library whole.
 """
 
 from __future__ import annotations
@@ -13,8 +14,10 @@ import re
 import sys
 from array import array
 
-#: Most entries of a cache of whole chunks, and of the cache of single pre-tokens.
-CACHE_ROWS, MERGED_ROWS = 150_000, 500_000
+from tasklens.llm.common import kept
+
+#: Entries after which a cache turns over (chunks, rarer chunks, single pre-tokens); it holds twice as many at most.
+CACHE_ROWS, RARE_ROWS, MERGED_ROWS = 200_000, 30_000, 150_000
 #: The tokenizer's white space (Unicode White_Space), fixed values.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f"[{SPACE}][{SPACE}]")
@@ -27,9 +30,7 @@ def _load(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -40,15 +41,19 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class _Cache(dict):
-    """chunk -> its ids as little-endian bytes; made anew when it has `most` entries, so memory is bounded."""
+    """chunk -> its ids as little-endian bytes; with `most` entries it becomes the older half, so memory is bounded and frequent chunks stay."""
 
-    def __init__(self, make, most: int = CACHE_ROWS):
-        self.make, self.most = make, most
+    def __init__(self, make, most: int):
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, chunk: str) -> bytes:
+        out = self.older.get(chunk)
+        if out is None:
+            out = self.make(chunk)
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        out = self[chunk] = self.make(chunk)
+        self[chunk] = out
         return out
 
 
@@ -68,13 +73,19 @@ class Encoder:
     def __init__(self, path: str, keeps_space: bool):
         self.tokenizer = _load(path)
         self.model = self.tokenizer.model
-        self.direct, self.merged = _Cache(self._direct), _Cache(self._merged, MERGED_ROWS)
+        self.direct, self.merged = _Cache(self._direct, RARE_ROWS), _Cache(self._merged, MERGED_ROWS)
+        added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
+        # what all strings of special tokens begin with, up to the first letter, whose case may be changed
+        self.special = re.match(r"[^A-Za-z]*", os.path.commonprefix(added))[0] if added else None
         if keeps_space:
-            self.bare, self.spaced = _Cache(self._bare), _Cache(self._spaced)
-            self.encode = self._with_space
+            self.bare, self.spaced = _Cache(self._bare, RARE_ROWS), _Cache(self._spaced, CACHE_ROWS)
+            self.chunks = self._with_space
         else:
-            self.word = _Cache(self._word)
-            self.encode = self._without_space
+            self.word = _Cache(self._word, CACHE_ROWS)
+            self.chunks = self._without_space
+
+    def encode(self, text: str) -> bytes:
+        return self._direct(text) if self.special is not None and self.special in text else self.chunks(text)
 
     def _direct(self, text: str) -> bytes:
         return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -131,11 +142,6 @@ class Encoder:
         return self.bare[head] + b"".join(map(self.spaced.__getitem__, rest))
 
 
-_made: dict = {}
-
-
-def encoder(path: str, keeps_space: bool) -> Encoder:
-    """One for each Python worker, kept from task to task."""
-    if (path, keeps_space) not in _made:
-        _made[path, keeps_space] = Encoder(path, keeps_space)
-    return _made[path, keeps_space]
+def encoder(owner: str, path: str, keeps_space: bool) -> Encoder:
+    """One for each Python worker, kept from task to task of owner, the module whose tasks call."""
+    return kept(owner, f"{path} {keeps_space}", lambda: Encoder(path, keeps_space))

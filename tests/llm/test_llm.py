@@ -21,7 +21,7 @@ def text(seed, n):
 @pytest.fixture(scope="module")
 def docs(spark):
     rows = [(k, text(k, 30 + k % 50), f"s{k % 3}", "clash") for k in range(60)]
-    rows += [(100, rows[0][1], "s0", "x"), (101, rows[1][1] + " tail", None, "x"), (102, None, "s1", "x"), (103, "", "s1", "x"), (104, "a b", "s1", "x"), (105, text(5, 9000), "s0", "x"), (106, "Ünï 汉字 😀 end", "s2", "x")]
+    rows += [(100, rows[0][1], "s0", "x"), (101, rows[1][1] + " tail", None, "x"), (102, None, "s1", "x"), (103, "", "s1", "x"), (104, "a b", "s1", "x"), (105, text(5, 9000), "s0", "x"), (106, "Ünï 汉字 😀 end", "s2", "x"), (107, "a <|endoftext|>b <|STARTOFTEXT|> <|startoftext|>", "s2", "x")]
     return spark.createDataFrame(rows, "doc_id long, text string, source string, score string")
 
 
@@ -72,7 +72,6 @@ def test_components(spark):
 def test_token_files_round_trip(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     got = {r.doc_id: r for r in tokenfile.read_blocks(tokenfile.write_blocks(docs, path)).collect()}
     start = 0
     for r in sorted(docs.collect()):
@@ -92,19 +91,51 @@ def test_blocks_round_trip(n):
     assert got.tolist() == ids.tolist() and lengths.sum() == n
 
 
-def test_choices_that_have_long_been_absent_keep_a_share():
-    model = tokenfile._Model()
-    model.choices[9, 0] += 10**7  # a state of both contexts seen, in which order 2 was always right
-    model.choices[3, 2] += 10**7  # one in which order 2 was never seen
+def test_predictions_that_have_long_been_wrong_keep_a_weight():
+    model = tokenfile._Model(10)
+    model.right.reshape(-1, 2, 2)[9, 1] += 10**7  # a state of both contexts seen, in which order 2 was always right
+    model.right.reshape(-1, 2, 2)[3, 0, 0] += 10**7  # order 2 never seen, order 1 always wrong
     model.tables()
-    assert (model.part[9] > 0).all() and model.part[3].tolist()[0] == 0 and (model.part[3, 1:] > 0).all()
-    assert (model.part.sum(axis=1) == 1 << tokenfile.CHOICE_BITS).all()
+    assert model.mass2[9] > 0 and model.mass1[9] > 0 and model.mass0[9] > 0 and model.mass2[3] == 0 and model.mass1[3] > 0
+    assert (model.mass2.astype(int) + model.mass1 + (model.mass0.astype(int) << tokenfile.TOTAL_BITS) == 1 << tokenfile.TOTAL_BITS + tokenfile.WEIGHT_BITS).all()
+
+
+def test_intervals_part_the_whole():
+    """Every id has an interval of its own, without gaps, and find() is the inverse of interval()."""
+    rng = np.random.default_rng(3)
+    model = tokenfile._Model(50)
+    last = before = np.zeros(64, np.int32)
+    for _ in range(40):
+        model.tables()
+        model.predict(last, before)
+        starts, widths = zip(*(model.interval(np.full(64, x, np.int32)) for x in range(50)))
+        ends = np.cumsum(np.array(widths, np.int64), axis=0)
+        assert (ends[-1] == 1 << tokenfile.TOTAL_BITS + tokenfile.WEIGHT_BITS).all() and (np.array(starts) == ends - widths).all()
+        for x in (0, 7, 49):
+            for spot in (starts[x], starts[x] + widths[x] - 1):
+                assert (model.find(spot.astype(np.int32)) == x).all()
+        row = (rng.integers(0, 50, 64) % rng.integers(1, 51)).astype(np.int32)
+        model.learn(row)
+        before, last = last, row
+
+
+def test_blocks_beat_order_0_and_know_damage():
+    rng = np.random.default_rng(8)
+    words = [rng.integers(0, 3000, 6) for _ in range(300)]
+    ids = np.concatenate([words[k] for k in rng.integers(0, 300, 20_000)]).astype("<u2")
+    block = tokenfile.encode_block(ids, [len(ids)])
+    p = np.bincount(ids)[np.unique(ids)] / len(ids)
+    assert len(block) < 0.6 * -(p * np.log2(p)).sum() / 8 * len(ids)
+    damaged = bytearray(block)
+    damaged[len(block) // 2] ^= 1
+    for bad in (bytes(damaged), b"XXXX" + block[4:]):
+        with pytest.raises(ValueError):
+            tokenfile.decode_block(bad)
 
 
 def test_packing_keeps_every_id(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     pieces = packing.pack(docs, path, window_sequences=2).collect()
     texts = {r.doc_id: np.array(tok.encode(r.text or "", add_special_tokens=False).ids + [0], "<u4") for r in docs.collect()}
     seen, at = {}, {}
