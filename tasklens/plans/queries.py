@@ -1,96 +1,9 @@
-"""The registered queries over the job relations, each with its own SQL for DuckDB."""
+"""The registered queries over the job relations, each with its own SQL for DuckDB where that can express it."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from tasklens.functions import schedule
-from tasklens.operators import metrics, reads, transitions
-from tasklens.sources.project import ctes, relation
-
-NOW_TEXT, TICK_TEXT = "TIMESTAMP '1999-01-01 00:00:00'", "TIMESTAMP '2024-01-01 02:00:00'"
-CLAIM, DONE = "state IN ('available', 'retryable', 'scheduled')", "state IN ('succeeded', 'cancelled', 'discarded')"
-READY = f"deleted_at IS NULL AND {CLAIM} AND scheduled_at <= {NOW_TEXT}"
-_J, _R, _L, _P = ctes("jobs"), ctes("job_runs"), ctes("lifecycle"), ctes("job_periodics")
-
-
-def _now():
-    return F.expr("TIMESTAMP_NTZ '1999-01-01 00:00:00'")
-
-
-def _tick():
-    return F.expr("TIMESTAMP_NTZ '2024-01-01 02:00:00'")
-
-
-def _queue():
-    return F.col("queue") == "q1"
-
-
-def _spans(events):
-    return events.select("kind", (F.col("duration_us") * 1000).alias("ns"))
-
-
-def _on(*names: str):
-    """A query of the named relations."""
-    return lambda f: lambda spark, sf_dir: f(*(relation(spark, sf_dir, n) for n in names))
-
-
-jobs, runs, both, events, schedules = _on("jobs"), _on("job_runs"), _on("jobs", "job_runs"), _on("lifecycle"), _on("job_periodics")
-
-_B = "CASE WHEN ns < 1024 THEN 0 WHEN ns >= 137438953472 THEN 82 ELSE 1 + (e - 10) * 3 + (((ns - (1::BIGINT << e)) * 3) >> e) END"
-_HIST = f"""h AS (SELECT kind, CAST({_B} AS INT) AS bucket, count(*) AS n, CAST(sum(ns) AS BIGINT) AS total, min(ns) AS low, max(ns) AS high
-  FROM (SELECT kind, duration_us * 1000 AS ns, length(format('{{:b}}', duration_us * 1000)) - 1 AS e FROM lifecycle) WHERE ns >= 0 GROUP BY ALL)"""
-_WALK = """w AS (SELECT *, sum(n) OVER (PARTITION BY kind ORDER BY bucket) AS cum, sum(n) OVER (PARTITION BY kind) AS alln, sum(total) OVER (PARTITION BY kind) AS allt,
-  min(low) OVER (PARTITION BY kind) AS lo, max(high) OVER (PARTITION BY kind) AS hi,
-  CASE bucket WHEN 0 THEN 1023 WHEN 82 THEN 137438953472 ELSE CAST(round(sqrt(
-    ((1::BIGINT << (10 + (bucket - 1) // 3)) + ceil((1::BIGINT << (10 + (bucket - 1) // 3)) * ((bucket - 1) % 3) / 3.0::DOUBLE))::DOUBLE *
-    ((1::BIGINT << (10 + (bucket - 1) // 3)) + ceil((1::BIGINT << (10 + (bucket - 1) // 3)) * ((bucket - 1) % 3 + 1) / 3.0::DOUBLE)))) AS BIGINT) END AS mid FROM h)"""
-_Q = "CAST(greatest(min(lo), least(min(hi), arg_min(mid, bucket) FILTER (cum >= greatest(1, ceil({} * alln))))) AS BIGINT) AS p{}"
-
-#: name -> (query, SQL)
-TABLE = {
-    "ag01_state_counts": (jobs(lambda j: reads.state_counts(reads.live(j))), _J + "SELECT state, count(*) AS n FROM jobs WHERE deleted_at IS NULL GROUP BY ROLLUP (state)"),
-    "ag02_state_counts_all": (jobs(lambda j: reads.state_counts(j, False)), _J + "SELECT state, count(*) AS n FROM jobs GROUP BY state"),
-    "ag03_queue_health": (jobs(lambda j: reads.queue_health(j, _now())), _J + f"""SELECT count(*) FILTER ({READY}) AS ready, count(*) FILTER (state = 'running') AS inflight,
-  count(*) FILTER ({CLAIM} AND scheduled_at > {NOW_TEXT}) AS scheduled_ahead, coalesce(greatest(0, date_diff('second', min(scheduled_at) FILTER ({READY}), {NOW_TEXT})), 0) AS oldest_ready_age_s FROM jobs WHERE deleted_at IS NULL"""),
-    "ag05_progress_by_parent": (jobs(reads.progress_by_parent), _J + f"""SELECT c.parent_job_id, count(*) AS total, count(*) FILTER (c.{DONE}) AS terminal, count(*) FILTER (NOT c.{DONE}) AS pending, coalesce(any_value(p.state), '') AS parent_state
-  FROM jobs c LEFT JOIN jobs p ON p.id = c.parent_job_id AND p.deleted_at IS NULL WHERE c.deleted_at IS NULL AND c.parent_job_id IS NOT NULL GROUP BY c.parent_job_id"""),
-    "ag06_progress_by_kind": (jobs(reads.progress_by_kind), _J + f"SELECT kind, count(*) AS total, count(*) FILTER ({DONE}) AS terminal FROM jobs WHERE deleted_at IS NULL GROUP BY kind"),
-    "ag08_run_count": (runs(lambda r: r.agg(F.count("*").alias("n"))), _R + "SELECT count(*) AS n FROM job_runs"),
-    "ag10_crash_loops": (runs(reads.crash_loops), _R + "SELECT job_id, count(*) AS crashes FROM job_runs WHERE outcome = 'crashed' GROUP BY job_id HAVING count(*) > 1"),
-    "ag13_parents": (jobs(lambda j: j.select("parent_job_id").where("parent_job_id IS NOT NULL").distinct()), _J + "SELECT DISTINCT parent_job_id FROM jobs WHERE parent_job_id IS NOT NULL"),
-    "ag15_counters": (events(metrics.counters), _L + "SELECT kind, queue, event, count(*) AS n, CAST(sum(duration_us) AS BIGINT) AS total_us FROM lifecycle GROUP BY ALL"),
-    "ag16_gauges": (events(metrics.gauges), _L + "SELECT kind, queue, arg_max(duration_us, seq) AS last_us FROM lifecycle GROUP BY ALL"),
-    "ag22_histogram": (events(lambda e: metrics.histogram(_spans(e))), _L + f", {_HIST} SELECT * FROM h"),
-    "ag24_latency": (events(lambda e: metrics.latency(_spans(e))), _L + f""", {_HIST}, {_WALK}
-SELECT kind, CAST(min(alln) AS BIGINT) AS n, min(lo) AS min_ns, min(hi) AS max_ns, CAST(min(allt) // min(alln) AS BIGINT) AS mean_ns, {_Q.format('0.5::DOUBLE', 50)}, {_Q.format('0.95::DOUBLE', 95)}, {_Q.format('0.99::DOUBLE', 99)} FROM w GROUP BY kind"""),
-    "ag35_exactly_once": (both(reads.exactly_once), _R + """SELECT count(*) FILTER (outcome = 'success') - count(DISTINCT job_id) FILTER (outcome = 'success') AS extra_successes,
-  count(*) FILTER (outcome = 'started') AS still_started, count(*) FILTER (outcome <> 'started' AND finished_at IS NULL) AS without_end FROM job_runs"""),
-    "wn01_latest_runs": (runs(reads.latest_runs), _R + "SELECT job_id, id AS run_id, attempt, outcome, error_class FROM job_runs QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY attempt DESC) = 1"),
-    "wn02_fair_batch": (jobs(lambda j: reads.fair_batch(j, _now(), 200)), _J + f"""SELECT id, priority, rn, scheduled_at FROM (SELECT *, CAST(row_number() OVER (PARTITION BY coalesce(parent_job_id, id) ORDER BY priority, scheduled_at, id) AS INT) AS rn FROM jobs WHERE {READY})
-  ORDER BY priority, rn, scheduled_at, id LIMIT 200"""),
-    "wn05_fairness": (events(metrics.fairness), _L + """, t AS (SELECT parent_ordinal AS g, (row_number() OVER (ORDER BY seq) - 1) // 64 AS w FROM lifecycle), c AS (SELECT g, w, count(*) AS cnt FROM t GROUP BY ALL),
-  grid AS (SELECT g, w, width FROM (SELECT DISTINCT g FROM t), (SELECT w, count(*) AS width FROM t GROUP BY w)),
-  d AS (SELECT grid.*, coalesce(cnt, 0) AS cnt, coalesce(sum(coalesce(cnt, 0)) OVER (PARTITION BY grid.g ORDER BY grid.w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS remaining FROM grid LEFT JOIN c USING (g, w))
-  SELECT coalesce(min(cnt / width), 0.0) AS min_share FROM d WHERE remaining > 0"""),
-    "wn11_keyset_pages": (jobs(lambda j: reads.keyset_pages(j, 500)), _J + f"SELECT (rn - 1) // 500 AS page, count(*) AS n, min(id) AS first_id, max(id) AS last_id FROM (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM jobs WHERE {DONE}) GROUP BY 1"),
-    "sl01_newest": (jobs(reads.newest), _J + "SELECT id, kind, queue, state, created_at FROM jobs WHERE deleted_at IS NULL ORDER BY created_at DESC, id DESC LIMIT 50"),
-    "sl03_recent_failures": (both(reads.recent_failures), ctes("jobs", "job_runs") + """, top AS (SELECT id, kind, finalized_at FROM jobs WHERE deleted_at IS NULL AND state = 'discarded' AND finalized_at IS NOT NULL ORDER BY finalized_at DESC, id DESC LIMIT 20),
-  last AS (SELECT job_id, attempt, outcome FROM job_runs QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY attempt DESC) = 1)
-  SELECT top.id, kind, finalized_at, coalesce(attempt, 0) AS attempt, outcome FROM top LEFT JOIN last ON job_id = top.id"""),
-    "sl05_claim_batch": (jobs(lambda j: reads.claim_batch(j, _now(), 100)), _J + f"SELECT id, priority, scheduled_at FROM jobs WHERE {READY} ORDER BY priority, scheduled_at, id LIMIT 100"),
-    "jn07_overlapping_attempts": (runs(reads.overlapping_attempts), _R + """, d AS (SELECT * FROM job_runs WHERE finished_at IS NOT NULL AND outcome <> 'crashed')
-  SELECT a.job_id, a.attempt AS first_attempt, b.attempt AS second_attempt FROM d a JOIN d b ON a.job_id = b.job_id AND a.attempt < b.attempt AND a.started_at < b.finished_at AND b.started_at < a.finished_at"""),
-    "jn09_without_runs": (both(reads.without_runs), ctes("jobs", "job_runs") + "SELECT id, state FROM jobs WHERE deleted_at IS NULL AND id NOT IN (SELECT job_id FROM job_runs)"),
-    "st06_sweep": (jobs(lambda j: transitions.sweep(j, _now())), _J + f"SELECT id, 'available' AS state, CAST(NULL AS TIMESTAMP) AS leased_until, scheduled_at FROM jobs WHERE state = 'running' AND leased_until < {NOW_TEXT} AND deleted_at IS NULL"),
-    "st10_pause": (jobs(lambda j: transitions.pause(j, _queue())), _J + f"SELECT id, state AS was, 'paused' AS state FROM jobs WHERE deleted_at IS NULL AND queue = 'q1' AND {CLAIM}"),
-    "st11_resume": (jobs(lambda j: transitions.resume(j, _queue())), _J + "SELECT id, state AS was, 'available' AS state FROM jobs WHERE deleted_at IS NULL AND queue = 'q1' AND state = 'paused'"),
-    "st12_cancel": (jobs(lambda j: transitions.cancel(j, _queue())), _J + f"SELECT id, state AS was, 'cancelled' AS state FROM jobs WHERE deleted_at IS NULL AND queue = 'q1' AND ({CLAIM} OR state = 'paused')"),
-    "st18_retention": (jobs(lambda j: transitions.retained(j, _now())), _J + f"SELECT id, state FROM jobs WHERE NOT coalesce({DONE} AND finalized_at < {NOW_TEXT}, false)"),
-    "st01_unique_enqueue": (jobs(transitions.first_of_unique), _J + "SELECT id, unique_key FROM jobs QUALIFY unique_key IS NULL OR row_number() OVER (PARTITION BY unique_key ORDER BY created_at, id) = 1"),
-    "fn07_missed_intervals": (schedules(lambda s: schedule.missed(s, _tick(), 10)), _P + f""", n AS (SELECT *, date_diff('second', next_run_at, {TICK_TEXT}) // interval_seconds AS n FROM job_periodics WHERE is_active AND next_run_at <= {TICK_TEXT})
-  SELECT slug, next_run_at + to_seconds(k * interval_seconds) AS bucket FROM (SELECT slug, next_run_at, interval_seconds, unnest(range(greatest(0, n - 9), n + 1)) AS k FROM n)"""),
-}
+from tasklens.plans import change, inspect, measure
 
+TABLE = inspect.TABLE | change.TABLE | measure.TABLE
 QUERIES = {name: query for name, (query, _) in TABLE.items()}
-SQL = {name: sql for name, (_, sql) in TABLE.items()}
+SQL = {name: sql for name, (_, sql) in TABLE.items() if sql}

@@ -4,9 +4,11 @@ from pyspark.sql import SparkSession
 
 @pytest.fixture(scope="session")
 def spark():
+    # many small queries: compiling them takes longer than running them
     made = (
         SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC")
-        .config("spark.ui.enabled", "false").config("spark.driver.memory", "4g").getOrCreate()
+        .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "4g")
+        .config("spark.sql.codegen.wholeStage", "false").getOrCreate()
     )
     made.sparkContext.setLogLevel("ERROR")
     yield made
