@@ -16,11 +16,12 @@ from array import array
 
 from tasklens.llm.common import kept
 
-#: Entries after which a cache turns over (chunks, rarer chunks, single pre-tokens); it holds twice as many at most.
-CACHE_ROWS, RARE_ROWS, MERGED_ROWS = 200_000, 30_000, 150_000
+#: Entries after which a cache turns over (chunks, single pre-tokens: with and without white space; rarer chunks); it holds twice as many at most.
+CACHE_ROWS, MERGED_ROWS, RARE_ROWS = {True: 320_000, False: 400_000}, {True: 220_000, False: 300_000}, 30_000
 #: The tokenizer's white space (Unicode White_Space), fixed values.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f"[{SPACE}][{SPACE}]")
+ODD = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 PIECES = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 #: Marks that follow a word; a word of letters and such a mark are two pre-tokens under either pattern.
 MARKS = ".,!?;:*$%&#"
@@ -73,15 +74,15 @@ class Encoder:
     def __init__(self, path: str, keeps_space: bool):
         self.tokenizer = _load(path)
         self.model = self.tokenizer.model
-        self.direct, self.merged = _Cache(self._direct, RARE_ROWS), _Cache(self._merged, MERGED_ROWS)
+        self.direct, self.merged = _Cache(self._direct, RARE_ROWS), _Cache(self._merged, MERGED_ROWS[keeps_space])
         added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         # what all strings of special tokens begin with, up to the first letter, whose case may be changed
         self.special = re.match(r"[^A-Za-z]*", os.path.commonprefix(added))[0] if added else None
         if keeps_space:
-            self.bare, self.spaced = _Cache(self._bare, RARE_ROWS), _Cache(self._spaced, CACHE_ROWS)
+            self.bare, self.spaced = _Cache(self._bare, RARE_ROWS), _Cache(self._spaced, CACHE_ROWS[True])
             self.chunks = self._with_space
         else:
-            self.word = _Cache(self._word, CACHE_ROWS)
+            self.word = _Cache(self._word, CACHE_ROWS[False])
             self.chunks = self._without_space
 
     def encode(self, text: str) -> bytes:
@@ -136,7 +137,9 @@ class Encoder:
         return self.tokenized(" " + chunk) if out is None else out
 
     def _with_space(self, text: str) -> bytes:
-        if RUNS.search(text) or (text and (text[0] in " \n" or text[-1] in " \n")):
+        # ASCII texts without odd white space are told apart by plain searches, which are faster than the pattern
+        plain = text.isascii() and not any(map(text.__contains__, ODD))
+        if (not plain and RUNS.search(text)) or (text and (text[0] in " \n" or text[-1] in " \n")):
             return b"".join(map(self.tokenized, PIECES.findall(text)))
         head, *rest = text.split(" ")
         return self.bare[head] + b"".join(map(self.spaced.__getitem__, rest))
