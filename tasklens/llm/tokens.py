@@ -17,7 +17,7 @@ from array import array
 from tasklens.llm.common import kept
 
 #: Entries after which a cache turns over (chunks, single pre-tokens: with and without white space; rarer chunks); it holds twice as many at most.
-CACHE_ROWS, MERGED_ROWS, RARE_ROWS = {True: 320_000, False: 400_000}, {True: 220_000, False: 300_000}, 30_000
+CACHE_ROWS, MERGED_ROWS, RARE_ROWS = {True: 320_000, False: 400_000}, {True: 220_000, False: 300_000}, 60_000
 #: The tokenizer's white space (Unicode White_Space), fixed values.
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 RUNS = re.compile(f"[{SPACE}][{SPACE}]")
@@ -121,18 +121,12 @@ class Encoder:
 
     # White space belongs to the next pre-token or is one itself.
     def _bare(self, chunk: str) -> bytes:
-        head, *lines = chunk.split("\n")
-        if lines:
-            return self._bare(head) + b"".join(self.direct["\n"] + self.bare[x] for x in lines)
         if not chunk:
             return b""
         out = self._marked(chunk, "")
         return self.tokenized(chunk) if out is None else out
 
     def _spaced(self, chunk: str) -> bytes:
-        head, *lines = chunk.split("\n")
-        if lines:
-            return self.spaced[head] + b"".join(self.direct["\n"] + self.bare[x] for x in lines)
         out = self._marked(chunk, " ")
         return self.tokenized(" " + chunk) if out is None else out
 
@@ -141,8 +135,13 @@ class Encoder:
         plain = text.isascii() and not any(map(text.__contains__, ODD))
         if (not plain and RUNS.search(text)) or (text and (text[0] in " \n" or text[-1] in " \n")):
             return b"".join(map(self.tokenized, PIECES.findall(text)))
-        head, *rest = text.split(" ")
-        return self.bare[head] + b"".join(map(self.spaced.__getitem__, rest))
+        out, bare, spaced, line_feed = [], self.bare, self.spaced.__getitem__, self.direct["\n"]
+        for line in text.split("\n"):
+            head, *rest = line.split(" ")
+            out.append(bare[head])
+            out.extend(map(spaced, rest))
+            out.append(line_feed)
+        return b"".join(out[:-1])
 
 
 def encoder(owner: str, path: str, keeps_space: bool) -> Encoder:
