@@ -6,7 +6,7 @@ dictionaries come from labelled texts: the ordinary one holds their commonest wi
 windows that mark toxic texts, whole words first and then beginnings of words that mark the toxic texts still left,
 ranked by log odds and document frequency. The numbers and rates of windows beyond several gains become a chance by a
 logistic calibration on the same bounded sample. The dictionaries differ in the marks alone, so a window that shares no
-six bytes with them counts as without gain and isn't compressed. Windows repeat, so gains are kept in a bounded cache.
+six bytes with them and holds no shorter mark counts as without gain and isn't compressed. Windows repeat, so gains are kept in a bounded cache.
 
 This replaces dictionaries that zstandard trains on whole texts of each class, which find half of the toxic rows at
 best: see the README's figures.
@@ -51,9 +51,10 @@ def _window(word: str) -> bytes:
 class Model:
     """Plain data (bytes and numbers), so it ships with a task's closure; compressors are made where they are used."""
 
-    def __init__(self, ordinary: bytes = b"", added: bytes = b"", base: float = 0.0):
+    def __init__(self, ordinary: bytes = b"", added: bytes = b"", base: float = 0.0, short: tuple[bytes, ...] = ()):
         self.ordinary, self.toxic = ordinary + CARRIER.encode(), ordinary + added + CARRIER.encode()
-        self.shared = b"|".join(sorted({re.escape(added[i : i + 6]) for i in range(len(added) - 5)}))
+        # a mark of fewer than six bytes has no piece of its own and stands whole
+        self.shared = b"|".join(sorted({re.escape(added[i : i + 6]) for i in range(len(added) - 5)} | {re.escape(w) for w in short}))
         self.beta = np.zeros(2 * len(LEVELS) + 2)
         self.beta[-1] = np.log((base + 1e-6) / (1 - base + 1e-6))
 
@@ -142,8 +143,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     begun = long.select("doc_id", "y", "form", cut).select("doc_id", "y", F.concat(F.lit(" "), F.expr("substring(form, 1, k)")).alias("form"))
     starts = _picked(table(_weighed(begun, _sizes(rest)), "toxic_starts"))
     # each mark stands behind the carrier's end, so that one match can run from the carrier into it
-    added = b"".join((CARRIER[-8:] + w).encode("utf-8", "surrogatepass") for w in [*starts[::-1], *marks[::-1]])
-    model = Model("".join(common).encode("utf-8", "surrogatepass"), added)
+    forms = [w.encode("utf-8", "surrogatepass") for w in [*starts[::-1], *marks[::-1]]]
+    added = b"".join(CARRIER[-8:].encode() + w for w in forms)
+    model = Model("".join(common).encode("utf-8", "surrogatepass"), added, short=tuple(w for w in forms if len(w) < 6))
 
     def features():
         gain = model.gains()

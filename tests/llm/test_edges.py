@@ -177,6 +177,16 @@ def test_gain_needs_no_shortcut():
     assert all(gain(w) == 0 and whole(w) < least for w in common + ["zyxwv", "qqqqqq", "hello"])
 
 
+def test_short_marks_gain():
+    """Marks below six bytes gain too: one of three letters reaches the lowest level, one of two saves a byte only."""
+    marks = [" xq ", " zzv ", " vile"]
+    forms = [w.encode() for w in marks]
+    added = b"".join(toxicity.CARRIER[-8:].encode() + w for w in forms)
+    gain = toxicity.Model(b" plain  words  stand  here ", added, short=tuple(w for w in forms if len(w) < 6)).gains()
+    assert gain("zzv") >= toxicity.LEVELS[0] and gain("vilest") >= toxicity.LEVELS[0]
+    assert gain("xq") == 1 and gain("mno") == 0
+
+
 def test_pipeline_keeps_no_import_guard():
     import inspect
 
